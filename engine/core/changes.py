@@ -1,0 +1,137 @@
+"""Problem 2: what changes in a region's fields from one of its files to the next."""
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from engine.tables import table
+
+FIELD = "array<struct<field string, type string, value string>>"
+FILE = ["region_id", "file_no", "file_name"]
+LIKE = 0.6
+
+
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each top-level field of each payload, with the JSON type of its value as written."""
+    import pandas as pd
+
+    def split(s: pd.Series) -> pd.Series:
+        import json
+
+        def one(text):
+            try:
+                pairs = json.loads(text, parse_int=lambda x: ("integer", x), parse_float=lambda x: ("double", x), parse_constant=lambda x: None, object_pairs_hook=list) if text else []
+            except ValueError:
+                return []
+            if not isinstance(pairs, list):
+                return []
+            typed = lambda v: v if isinstance(v, tuple) else ("string", v) if isinstance(v, str) else (None, None)
+            return [(k, *typed(v)) for k, v in pairs if isinstance(k, str)] if all(isinstance(p, tuple) and len(p) == 2 for p in pairs) else []
+
+        return s.map(one)
+
+    parse = F.pandas_udf(split, FIELD)
+    rows = table(spark, sf_dir, "region_requests").where("region_id IS NOT NULL AND file_no IS NOT NULL")
+    both = rows.select("request_id", *FILE, F.explode(F.array(*(F.struct(F.lit(p).alias("payload"), F.col(p).alias("text")) for p in ("attrs", "json_data")))).alias("p")).select("request_id", *FILE, "p.*")
+    return both.where("text IS NOT NULL").withColumn("f", F.explode(parse("text"))).select("request_id", *FILE, "payload", "f.*")
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a field of a file is like: its types, the spread of its numbers, the words of its texts."""
+    number = F.expr("try_cast(value AS DOUBLE)")
+    long = F.regexp_replace(F.lower("value"), r"\b(?=[a-z]*[0-9])[a-z0-9]{8,}\b", "~")
+    words = F.split(F.regexp_replace(long, r"[a-z]*[0-9][a-z0-9]*", "#"), "[^a-z#~]+")
+    of = fields(spark, sf_dir).withColumn("x", number).withColumn("words", F.when(F.col("x").isNull(), words))
+    return of.groupBy(*FILE, "payload", "field").agg(
+        F.sort_array(F.collect_set("type")).alias("types"),
+        F.count("value").alias("n"), F.count("x").alias("n_x"), F.approx_count_distinct("value").alias("n_values"),
+        F.percentile_approx("x", [0.0, 0.1, 0.5, 0.9, 1.0]).alias("q"),
+        F.max(F.length(F.regexp_extract("value", r"\.([0-9]*[1-9])0*$", 1))).alias("decimals"),
+        F.array_remove(F.array_distinct(F.flatten(F.collect_set("words"))), "").alias("words"),
+        F.avg(F.size("words")).alias("n_words"), F.avg(F.col("value").rlike("[0-9]").cast("int")).alias("digits"), F.avg(F.col("value").startswith("{").cast("int")).alias("json"),
+        F.min("value").alias("least"), F.max("value").alias("most"),
+    )
+
+
+def likeness(a, b) -> float:
+    """How well the values and the name of field b carry on the quantity of field a; LIKE is enough."""
+    import math
+    import re
+
+    def tokens(s):
+        return {t.lower() for t in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", s)}
+
+    def plain(s):
+        return re.sub("[^a-z0-9]", "", s.lower())
+
+    if plain(a["field"]) == plain(b["field"]):
+        return 2.0
+    ta, tb = tokens(a["field"]), tokens(b["field"])
+    named = 0.3 if any(x == y or min(len(x), len(y)) > 2 and (x.startswith(y) or y.startswith(x)) for x in ta for y in tb) else 0
+    if not a["n"] or not b["n"]:
+        return named * 2
+    if a["json"] > 0.5 or b["json"] > 0.5:
+        return 0.9 if a["json"] > 0.5 and b["json"] > 0.5 else 0
+    if a["least"] == a["most"] == b["least"] == b["most"]:
+        return 0.95 + named
+    na, nb = a["n_x"] > 0.9 * a["n"], b["n_x"] > 0.9 * b["n"]
+    if na != nb:
+        return 0
+    if a["payload"] == "attrs" and na and max(a["n"], b["n"]) < 4:
+        return 2 * named  # a setting that is renamed keeps its value; else only its name can tell
+    if not na:
+        wa, wb = set(a["words"]), set(b["words"])
+        if abs(a["digits"] - b["digits"]) > 0.5 or max(a["n_words"], b["n_words"]) > 1.8 * min(a["n_words"], b["n_words"]) + 0.2:
+            return 0
+        return len(wa & wb) / max(1, min(len(wa), len(wb))) + named
+    qa, qb = a["q"], b["q"]
+    serial = lambda p: p["types"] == ["integer"] and p["n_values"] > 0.8 * p["n"] > 3 and p["q"][4] - p["q"][0] < 4 * p["n"]
+    if serial(a) and serial(b) and 0 <= qb[0] - qa[0] and qb[0] - qa[4] < 2 * (qa[4] - qa[0]) + 50:
+        return 1.0
+    few = min(a["n"], b["n"]) < 5
+    if not few and ((qa[0] < 0) != (qb[0] < 0) or abs(a["decimals"] - b["decimals"]) > 1):
+        return 0
+    rows, values = sorted((a["n"], b["n"])), sorted((a["n_values"], b["n_values"]))
+    if rows[0] >= 8 and values[1] > 2.5 * values[0] * rows[1] / rows[0]:
+        return 0
+    squash = lambda x: math.copysign(math.log1p(abs(x) * 10), x)
+    (alow, amid, ahigh), (blow, bmid, bhigh) = map(squash, qa[1:4]), map(squash, qb[1:4])
+    span = max(ahigh, bhigh) - min(alow, blow)
+    common, narrow = max(0.0, min(ahigh, bhigh) - max(alow, blow)), min(ahigh - alow, bhigh - blow)
+    overlap = 1.0 if span == 0 else (common / span + (common / narrow if narrow else float(common > 0))) / 2  # few rows may span less than many
+    same = 0.2 if a["decimals"] == b["decimals"] else 0 if few else -0.2
+    same -= 0.3 if serial(a) != serial(b) else 0
+    return overlap - abs(amid - bmid) / (1 + span) + same + named
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    like, enough = likeness, LIKE
+    held = table(spark, sf_dir, "region_requests").where("region_id IS NOT NULL AND file_no IS NOT NULL").select(*FILE).distinct()
+    held = held.withColumn("k", F.row_number().over(Window.partitionBy("region_id").orderBy("file_no", "file_name")))
+
+    def compare(d):
+        import pandas as pd
+
+        out = []
+        for region, own in d.groupby("region_id"):
+            names = dict(zip(own.k, own.file_name, strict=True))
+            for payload in ("attrs", "json_data"):
+                files = {}
+                for r in own[own.payload == payload].to_dict("records"):
+                    r["kind"] = next((t for t in ("string", "double", "integer") if t in list(r["types"])), "")
+                    r["types"] = list(r["types"])
+                    files.setdefault(r["k"], {})[r["field"]] = r
+                for k in sorted(names):
+                    if k - 1 not in names:
+                        continue
+                    old, new = files.get(k - 1, {}), files.get(k, {})
+                    gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
+                    for s, a, b in sorted(((like(old[a], new[b]), a, b) for a in gone for b in come), key=lambda x: (-x[0], x[1:])):
+                        if s >= enough and a in gone and b in come:
+                            gone.remove(a)
+                            come.remove(b)
+                            out.append((region, names[k], payload, a, "renamed", b))
+                    out += [(region, names[k], payload, f, "removed", "") for f in gone] + [(region, names[k], payload, f, "added", "") for f in come]
+                    out += [(region, names[k], payload, f, "retyped", "") for f in old.keys() & new.keys() if old[f]["kind"] and new[f]["kind"] and old[f]["kind"] != new[f]["kind"]]
+        return pd.DataFrame(out, columns=["region_id", "file_name", "payload", "field", "change_kind", "new_field"])
+
+    return held.join(profiles(spark, sf_dir), FILE, "left").groupBy("region_id").applyInPandas(compare, "region_id bigint, file_name string, payload string, field string, change_kind string, new_field string")

@@ -1,0 +1,32 @@
+"""Problem 5: the most frequent srcip, dstip and dstport, by a bounded sketch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engine.tables import table
+
+FIELDS = ("srcip", "dstip", "dstport")
+#: A frequent-items sketch overcounts by at most 3.5 / TRACKED of the rows, and at most 100 values hold 1 %: all of them are among the first TOP.
+TOP, TRACKED, SHARE = 400, 16384, 0.01
+
+
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch's candidates, with the sketch's and the exact counts."""
+    rows = table(spark, sf_dir, "flow_index")
+    sketch = rows.agg(F.count("*").alias("n_rows"), *(F.expr(f"approx_top_k(CAST({c} AS BIGINT), {TOP}, {TRACKED})").alias(c) for c in FIELDS))
+    each = F.explode(F.expr("concat(" + ", ".join(f"transform({c}, x -> struct('{c}' AS field, x.item AS item, x.count AS approx_count))" for c in FIELDS) + ")"))
+    likely = sketch.select("n_rows", each.alias("c")).select("n_rows", "c.*").where(F.col("item").isNotNull() & (F.col("approx_count") >= SHARE * F.col("n_rows")))
+    cells = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("bigint").alias("item")) for c in FIELDS))).alias("v")).select("v.*").where("item IS NOT NULL")
+    return cells.join(F.broadcast(likely), ["field", "item"]).groupBy("field", "item", "n_rows", "approx_count").agg(F.count("*").alias("exact_count"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(spark, sf_dir).where(F.col("exact_count") * 100 >= F.col("n_rows")).select("field", "item")
+
+
+SQL = """
+WITH v AS (SELECT 'srcip' AS field, srcip AS item FROM flow_index UNION ALL SELECT 'dstip', dstip FROM flow_index UNION ALL SELECT 'dstport', CAST(dstport AS BIGINT) FROM flow_index)
+SELECT field, item FROM v WHERE item IS NOT NULL GROUP BY field, item HAVING count(*) * 100 >= (SELECT count(*) FROM flow_index)
+"""

@@ -1,0 +1,47 @@
+"""Problem 4: lines of write dumps, the valid ones as a table and the bad ones with their reason."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engine.tables import table
+
+QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+FIELD = rf'(?:{QUOTED}|[^",]*+)'
+#: Values are never nested, so a JSON object of them is a regular language. Possessive throughout: no backtracking.
+WS = r"[ \t\n\r]*+"
+STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+NUMBER = r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
+PAIR = rf"{STRING}{WS}:{WS}(?:{STRING}|{NUMBER}){WS}"
+OBJECT = rf"\A{WS}\{{{WS}(?:{PAIR}(?:,{WS}{PAIR})*+)?+\}}{WS}\z"
+FIRST_MS, LAST_MS = 946_684_800_000, 4_102_444_799_999  # 2000 to 2099
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.regexp_replace("line", r"\r\z", "")
+    whole = table(spark, sf_dir, "write_lines").select("line_id", line.alias("l"))
+    split = whole.withColumn("quoted_right", F.col("l").rlike(rf"\A{FIELD}(?:,{FIELD})*+\z")).withColumn("three", F.col("l").rlike(rf"\A{FIELD},{FIELD},{FIELD}\z"))
+    for k, name in enumerate(("f0", "f1", "f2")):
+        raw = F.regexp_extract("l", rf"\A({FIELD}),({FIELD}),({FIELD})\z", k + 1)
+        plain = F.when(raw.startswith('"'), F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+        split = split.withColumn(name, F.when(F.col("three"), plain))
+    digits = lambda c: F.when(F.col(c).rlike(r"\A[0-9]{1,20}\z"), F.col(c).cast("decimal(20,0)"))
+    typed = split.withColumn("region", digits("f0")).withColumn("ms", digits("f1"))
+    reason = (
+        F.when(~F.col("quoted_right"), "quoting")
+        .when(~F.col("three"), "columns")
+        .when(F.col("region").isNull() | (F.col("region") > F.lit(str(2**64 - 1)).cast("decimal(20,0)")), "region_id")
+        .when(F.col("ms").isNull() | ~F.col("ms").between(FIRST_MS, LAST_MS), "timestamp")
+        .when(~F.col("f2").rlike(OBJECT), "json_data")
+    )
+    return typed.where("l IS NOT NULL").withColumn("reason", reason)
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(spark, sf_dir).where("reason IS NOT NULL").select("line_id", "reason")
+
+
+def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of valid writes."""
+    return parsed(spark, sf_dir).where("reason IS NULL").select("line_id", F.col("region").alias("region_id"), F.timestamp_millis(F.col("ms").cast("bigint")).alias("ts"), F.col("f2").alias("json_data"))

@@ -1,0 +1,49 @@
+"""Problem 1: the continuous periods of each node and region, and the gaps between them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from engine.tables import micros, table
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        table(spark, sf_dir, name).select(F.lit(entity).alias("entity"), F.col(key).alias("entity_id"), micros("start_time").alias("start_us"), micros("end_time").alias("end_us"))
+        for name, entity, key in (("capture_blocks", "node", "node_id"), ("block_meta", "region", "region_id"))
+    ]
+    return parts[0].unionAll(parts[1]).where("start_us IS NOT NULL AND end_us IS NOT NULL AND end_us >= start_us")
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sweep in order of start: a range that starts after all earlier ends opens a period."""
+    by = Window.partitionBy("entity", "entity_id").orderBy("start_us", "end_us")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    opens = (
+        ranges(spark, sf_dir)
+        .withColumn("until", F.max("end_us").over(before))
+        .withColumn("last_end", F.max("end_us").over(Window.partitionBy("entity", "entity_id")))
+        .where("until IS NULL OR start_us > until")
+    )
+    # Between two openings lie only ranges of the first one's period, so the second's `until` is that period's end.
+    periods = opens.withColumn("end_us", F.coalesce(F.lead("until").over(by), "last_end"))
+    rows = F.array(
+        F.struct(F.lit("period").alias("kind"), F.col("start_us").alias("s"), F.col("end_us").alias("e")),
+        F.struct(F.lit("gap").alias("kind"), F.col("until").alias("s"), F.col("start_us").alias("e")),
+    )
+    return periods.select("entity", "entity_id", F.explode(rows).alias("r")).where("r.s IS NOT NULL").selectExpr("r.kind AS kind", "entity", "entity_id", "r.s AS start_us", "r.e AS end_us")
+
+
+SQL = """
+WITH r AS (
+  SELECT 'node' AS entity, node_id AS entity_id, epoch_us(start_time) AS s, epoch_us(end_time) AS e FROM capture_blocks
+  UNION ALL SELECT 'region', region_id, epoch_us(start_time), epoch_us(end_time) FROM block_meta),
+v AS (SELECT * FROM r WHERE s IS NOT NULL AND e IS NOT NULL AND e >= s),
+m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY entity, entity_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS head FROM v),
+g AS (SELECT *, sum(head) OVER (PARTITION BY entity, entity_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM m),
+p AS (SELECT entity, entity_id, n, min(s) AS s, max(e) AS e FROM g GROUP BY ALL)
+SELECT 'period' AS kind, entity, entity_id, s AS start_us, e AS end_us FROM p
+UNION ALL
+SELECT 'gap', a.entity, a.entity_id, a.e, b.s FROM p a JOIN p b ON a.entity = b.entity AND a.entity_id = b.entity_id AND b.n = a.n + 1
+"""

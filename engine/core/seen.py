@@ -1,0 +1,63 @@
+"""Problem 3: has a record's 4-tuple come before? A Bloom filter of fixed size per partition proposes, the tuples themselves decide."""
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from engine.net import V4_MAPPED, value
+from engine.tables import table
+
+KEY = ["shi", "slo", "dhi", "dlo", "sp", "dp"]
+BITS, HASHES = 1 << 23, 4
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables in their order (origin 0, then 1; within it by id), addresses by value; rows with a null in the 4-tuple are left out."""
+    v4 = lambda c: F.col(c) + F.lit(V4_MAPPED)
+    zero = F.lit(0).cast("bigint")
+    index = table(spark, sf_dir, "flow_index").select(F.lit(0).alias("origin"), F.col("seq").alias("id"), zero.alias("shi"), v4("srcip").alias("slo"), zero.alias("dhi"), v4("dstip").alias("dlo"), F.col("srcport").alias("sp"), F.col("dstport").alias("dp"))
+    arrivals = (
+        table(spark, sf_dir, "flow_arrivals")
+        .select(F.lit(1).alias("origin"), F.col("arrival_id").alias("id"), value(F.col("source_address")).alias("s"), value(F.col("destination_address")).alias("d"), F.col("source_port").alias("sp"), F.col("destination_port").alias("dp"))
+        .select("origin", "id", F.col("s.hi").alias("shi"), F.col("s.lo").alias("slo"), F.col("d.hi").alias("dhi"), F.col("d.lo").alias("dlo"), "sp", "dp")
+    )
+    return index.unionAll(arrivals).dropna()
+
+
+def proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with the filter's answer, `maybe`: never wrongly false, at times wrongly true."""
+    bits, hashes = BITS, HASHES
+
+    def ask(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        seen = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            at = [((h + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64) for k in range(hashes)]
+            maybe = np.logical_and.reduce([seen[a] for a in at])
+            again = np.ones(len(h), dtype=bool)
+            again[np.unique(h, return_index=True)[1]] = False
+            for a in at:
+                seen[a] = True
+            names = [n for n in batch.schema.names if n != "h"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(maybe | again)], names=[*names, "maybe"])
+
+    hashed = records(spark, sf_dir).withColumn("h", F.xxhash64(*KEY))
+    ordered = hashed.repartition("h").sortWithinPartitions("origin", "id")
+    return ordered.mapInArrow(ask, "origin int, id bigint, shi bigint, slo bigint, dhi bigint, dlo bigint, sp int, dp int, maybe boolean")
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.min(F.struct("origin", "id")).over(Window.partitionBy(*KEY))
+    return proposed(spark, sf_dir).withColumn("before", F.struct("origin", "id") > first)
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("origin") == 0, "flow_index").otherwise("flow_arrivals")
+    return decided(spark, sf_dir).where("maybe AND before").select(name.alias("origin"), F.col("id").alias("record_id"))
+
+
+def rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter's measured wrong answers, over all records."""
+    return decided(spark, sf_dir).agg(F.count("*").alias("n_records"), F.count_if(F.expr("maybe AND NOT before")).alias("wrong_yes"), F.count_if(F.expr("before AND NOT maybe")).alias("wrong_no"), (F.count_if(F.expr("maybe AND NOT before")) / F.count_if(~F.col("before"))).alias("wrong_yes_rate"))

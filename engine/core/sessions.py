@@ -1,0 +1,29 @@
+"""Problem 6: the sessions of each flow."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from engine.net import canonical
+from engine.tables import micros, table
+
+FLOW = ["srcip", "dstip", "srcport", "dstport"]
+PAUSE_US = 900_000_000
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = table(spark, sf_dir, "packets").dropna(subset=["ts", *FLOW]).dropDuplicates(["node_id", "pkt_offset"])
+    flows = packets.select(canonical(F.col("srcip")).alias("srcip"), canonical(F.col("dstip")).alias("dstip"), *(F.col(c).cast("bigint").alias(c) for c in FLOW[2:]), micros("ts").alias("us"))
+    by = Window.partitionBy(*FLOW).orderBy("us")
+    heads = flows.dropna().withColumn("head", (F.col("us") - F.lag("us").over(by) > PAUSE_US).cast("int"))
+    numbered = heads.withColumn("n", F.sum(F.coalesce("head", F.lit(1))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*FLOW, "n").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n_packets"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(spark, sf_dir).select(*FLOW, "start_us", "end_us", "n_packets")
+
+
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(spark, sf_dir).select(*FLOW, "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), "n_packets")

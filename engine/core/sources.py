@@ -1,0 +1,47 @@
+"""Problem 7: distinct sources per day, node and set of nodes, from HyperLogLog sketches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engine.tables import micros, table
+
+LG_K = 14  # relative standard error 1.04 / sqrt(2 ** LG_K) = 0.8 %
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partial results: one sketch per UTC day and node, which hll_union merges."""
+    rows = table(spark, sf_dir, "flow_index").where("ts IS NOT NULL AND srcip IS NOT NULL")
+    day = F.date_from_unix_date(F.floor(micros("ts") / 86_400_000_000).cast("int"))
+    return rows.groupBy(day.alias("day"), "node_id").agg(F.hll_sketch_agg("srcip", LG_K).alias("sketch"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = daily(spark, sf_dir).withColumn("n", F.hll_sketch_estimate("sketch"))
+    nodes = days.groupBy("node_id").agg(
+        F.collect_list(F.struct("day", "n")).alias("days"), F.percentile("n", 0.5).alias("median"), F.hll_union_agg("sketch").alias("sketch")
+    ).withColumn("total", F.hll_sketch_estimate("sketch"))
+    peaks = nodes.select("node_id", "median", F.explode("days").alias("d")).where("d.n >= 2 * median").select(F.date_format("d.day", "yyyy-MM-dd").alias("day_utc"), "node_id", F.lit(0).cast("bigint").alias("other_node_id"))
+    a = nodes.select(F.col("node_id").alias("a"), F.col("sketch").alias("sa"), F.col("total").alias("na"), F.col("days.day").alias("da"))
+    b = nodes.select(F.col("node_id").alias("b"), F.col("sketch").alias("sb"), F.col("total").alias("nb"), F.col("days.day").alias("db"))
+    pairs = a.join(F.broadcast(b), F.expr("a < b AND arrays_overlap(da, db)")).where(F.hll_sketch_estimate(F.hll_union("sa", "sb")) <= 0.75 * (F.col("na") + F.col("nb")))
+    return peaks.unionAll(pairs.select(F.lit("").alias("day_utc"), F.col("a").alias("node_id"), F.col("b").alias("other_node_id")))
+
+
+def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(spark, sf_dir).select(F.date_format("day", "yyyy-MM-dd").alias("day_utc"), "node_id", F.hll_sketch_estimate("sketch").alias("n_sources"))
+
+
+SQL = """
+WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS d, node_id AS n, srcip AS s FROM flow_index WHERE ts IS NOT NULL AND srcip IS NOT NULL),
+day AS (SELECT d, n, count(DISTINCT s) AS c FROM r GROUP BY d, n),
+med AS (SELECT n, median(c) AS m FROM day GROUP BY n),
+own AS (SELECT DISTINCT n, s FROM r),
+tot AS (SELECT n, count(*) AS c FROM own GROUP BY n),
+met AS (SELECT DISTINCT x.n AS a, y.n AS b FROM day x JOIN day y ON x.d = y.d AND x.n < y.n),
+both_ AS (SELECT x.n AS a, y.n AS b, count(*) AS c FROM own x JOIN own y ON x.s = y.s AND x.n < y.n GROUP BY 1, 2)
+SELECT d AS day_utc, n AS node_id, CAST(0 AS BIGINT) AS other_node_id FROM day JOIN med USING (n) WHERE c >= 2 * m
+UNION ALL
+SELECT '', met.a, met.b FROM met JOIN both_ USING (a, b) JOIN tot t ON t.n = met.a JOIN tot u ON u.n = met.b WHERE t.c + u.c - both_.c <= 0.75 * (t.c + u.c)
+"""

@@ -1,0 +1,64 @@
+"""IP addresses by value, whatever their spelling."""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: An IPv4 address is held as its IPv4-mapped IPv6 address, so that both spellings have one value.
+V4_MAPPED = 0xFFFF << 32
+
+
+def _parsers():  # nested, so that executors get the code itself
+    import ipaddress
+    import re
+
+    def parse(s):
+        s = s.strip()
+        if s.isascii() and s.isdigit() and int(s) < 1 << 32:
+            return ipaddress.IPv4Address(int(s))
+        try:
+            a = ipaddress.ip_address(s)
+        except ValueError:
+            if not re.fullmatch(r"\d+(\.\d+){3}", s, re.A) or max(map(int, s.split("."))) > 255:  # leading zeros are decimal
+                return None
+            return ipaddress.IPv4Address(".".join(str(int(x)) for x in s.split(".")))
+        return getattr(a, "ipv4_mapped", None) or a
+
+    return parse
+
+
+def canonical(c: Column) -> Column:
+    """Dotted IPv4, or IPv6 as in RFC 5952; null if it is no address."""
+    make = _parsers
+
+    import pandas as pd
+
+    def text(s: pd.Series) -> pd.Series:
+        parse = make()
+        return s.map({x: None if (a := parse(x)) is None else str(a) for x in s.dropna().unique()})
+
+    return F.pandas_udf(text, "string")(c)
+
+
+def value(c: Column) -> Column:
+    """The 128 bits as struct<hi, lo> of BIGINT; null if it is no address."""
+    words = F.split(_hex(c), ",")
+    return F.when(_hex(c).isNotNull(), F.struct(words[0].cast("bigint").alias("hi"), words[1].cast("bigint").alias("lo")))
+
+
+def _hex(c: Column) -> Column:
+    make, mapped = _parsers, V4_MAPPED
+
+    import pandas as pd
+
+    def words(s: pd.Series) -> pd.Series:
+        parse = make()
+
+        def one(x):
+            if (a := parse(x)) is None:
+                return None
+            n = int(a) + mapped if a.version == 4 else int(a)
+            return ",".join(str(w - (1 << 64) if w >> 63 else w) for w in (n >> 64, n & (1 << 64) - 1))
+
+        return s.map({x: one(x) for x in s.dropna().unique()})
+
+    return F.pandas_udf(words, "string")(c)
