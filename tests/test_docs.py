@@ -20,3 +20,10 @@ def test_survey_state():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_survey_reads_the_test_tables():
+    tables = set(re.findall(r"^\*\*(\w+)\*\* \(", (REPO / "TESTDATA.md").read_text(), re.M))
+    for name, row in planned().items():
+        reads = row.split(" | ")[1].split(", ")
+        assert set(reads) <= tables or name.startswith("shard_"), name
