@@ -26,8 +26,8 @@ def _parsers():  # nested, so that executors get the code itself
     return parse
 
 
-def canonical(c: Column) -> Column:
-    """Dotted IPv4, or IPv6 as in RFC 5952; null if it is no address."""
+def canonical(c: Column | str) -> Column:
+    """Dotted IPv4, or IPv6 as in RFC 5952; null if it is no address. Parses each spelling of a batch once."""
     make = _parsers
 
     import pandas as pd
@@ -39,26 +39,20 @@ def canonical(c: Column) -> Column:
     return F.pandas_udf(text, "string")(c)
 
 
-def value(c: Column) -> Column:
-    """The 128 bits as struct<hi, lo> of BIGINT; null if it is no address."""
-    words = F.split(_hex(c), ",")
-    return F.when(_hex(c).isNotNull(), F.struct(words[0].cast("bigint").alias("hi"), words[1].cast("bigint").alias("lo")))
-
-
-def _hex(c: Column) -> Column:
-    make, mapped = _parsers, V4_MAPPED
+def packed(c: Column | str) -> Column:
+    """The address as BINARY of 4 bytes (IPv4) or 16 (IPv6), big-endian, so that bytes order as values; null if it is none."""
+    make = _parsers
 
     import pandas as pd
 
-    def words(s: pd.Series) -> pd.Series:
+    def raw(s: pd.Series) -> pd.Series:
         parse = make()
+        return s.map({x: None if (a := parse(x)) is None else a.packed for x in s.dropna().unique()})
 
-        def one(x):
-            if (a := parse(x)) is None:
-                return None
-            n = int(a) + mapped if a.version == 4 else int(a)
-            return ",".join(str(w - (1 << 64) if w >> 63 else w) for w in (n >> 64, n & (1 << 64) - 1))
+    return F.pandas_udf(raw, "binary")(c)
 
-        return s.map({x: one(x) for x in s.dropna().unique()})
 
-    return F.pandas_udf(words, "string")(c)
+def dotted(c: Column | str) -> Column:
+    """An unsigned 32-bit value as dotted IPv4, built-in functions only."""
+    n = F.col(c) if isinstance(c, str) else c
+    return F.concat_ws(".", *(F.shiftright(n, s).bitwiseAND(F.lit(255).cast("bigint")).cast("string") for s in (24, 16, 8, 0)))

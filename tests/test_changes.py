@@ -5,7 +5,7 @@ import json
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-import __spark_entry__ as entry
+from engine.operators import changes
 
 
 def test_p2(spark, tmp_path):
@@ -22,7 +22,7 @@ def test_p2(spark, tmp_path):
     put(1, 2, {"dataDir": "./d", "ttlDays": "30"}, second)
     put(1, 3, {"dataDir": "./d", "ttlDays": 30}, [{**w, "recordId": w["recordId"] + 12} for w in second])
     pq.write_table(pa.Table.from_pylist(rows), tmp_path / "region_requests.parquet")
-    got = {tuple(r) for r in entry.queries()["p2_found"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in changes.found(spark, str(tmp_path)).collect()}
     assert got == {
         (1, "f2", "json_data", "id", "renamed", "recordId"), (1, "f2", "json_data", "mtu", "renamed", "link_mtu"), (1, "f2", "json_data", "load", "retyped", ""),
         (1, "f2", "json_data", "zone", "removed", ""), (1, "f2", "json_data", "note", "added", ""), (1, "f2", "attrs", "sstPath", "renamed", "dataDir"),

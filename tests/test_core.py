@@ -10,13 +10,13 @@ import duckdb
 import pyarrow.parquet as pq
 import pytest
 
-import __spark_entry__ as entry
+from engine.plans import catalog
 
 DATA = os.environ.get("TEST_DATA", "/root/testdata/sf0.01")
 
 
 def rows(spark, name):
-    return sorted(tuple(r) for r in entry.queries()[name](spark, DATA).collect())
+    return sorted(tuple(r) for r in catalog.QUERIES[name](spark, DATA).collect())
 
 
 def read(name):
@@ -33,28 +33,15 @@ def micros(t):
     return round((t.timestamp() if t.tzinfo else t.replace(tzinfo=__import__("datetime").UTC).timestamp()) * 1e6)
 
 
-@pytest.mark.parametrize("name", entry.oracle_sql())
+@pytest.mark.parametrize("name", catalog.SQL)
 def test_oracle(spark, name):
     con = duckdb.connect()
     for p in Path(DATA).iterdir():
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p / '*' if p.is_dir() else p}')")
-    want = sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+    want = sorted(con.execute(catalog.SQL[name]).fetchall())
     assert want and rows(spark, name) == want
 
 
-def test_p3(spark):
-    met, want = set(), []
-    for origin, key, cols in (("flow_index", "seq", ("srcip", "dstip", "srcport", "dstport")), ("flow_arrivals", "arrival_id", ("source_address", "destination_address", "source_port", "destination_port"))):
-        for r in sorted(read(origin), key=lambda r: r[key]):
-            if None not in (t := tuple(r[c] for c in cols)):
-                t = (address(str(t[0])), address(str(t[1])), *t[2:])
-                want += [(origin, r[key])] if t in met else []
-                met.add(t)
-    assert want and rows(spark, "p3_found") == sorted(want)
-    n, wrong_yes, wrong_no, _ = rows(spark, "p3_rate")[0]
-    assert n >= len(want) and wrong_no == 0 and wrong_yes < 0.01 * n
-
-
 def reason(line):
     line, fields, at = line.removesuffix("\r"), [], 0
     while True:
