@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engine.llm.blocks import sum_blocks
-from engine.llm.normal import plain
+from engine.llm.normal import LINK, plain
 from engine.operators.changes import assign
 from engine.session import shared_dir
 from engine.sources.tables import table
 
 VOCABULARY, RARE = 1 << 17, 3
-ROUNDS, COGNATE_ROUNDS = 7, (2, 3, 4, 5, 6)
+ROUNDS, COGNATE_ROUNDS = 9, (3, 4, 5, 6, 7, 8)
 #: Each language has its own latent directions: one for each subject and EXTRA more.
-EXTRA, OVERSAMPLING, POWER = 2, 8, 4
+EXTRA, OVERSAMPLING, POWER = 2, 8, 5
 #: Clusters of terms beyond one for each subject, for what fits none.
 SPARE = 1
 SHARE = 0.25
@@ -48,16 +48,17 @@ FUNCTION_WORDS = {
     "es": "al como con creo de del desde el en entre era es ha he la las lo los mi no para por que se si sin su un una y",
 }
 LANGUAGES = list(FUNCTION_WORDS)
-FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
+FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b[^>]*>[^<]*\n.*?(?:</code>|\Z)", re.S | re.I)
+URL = re.compile(r"\b(?:https?|ftp)://[^\s()<>\[\]\"']+")
 CODE = re.compile(r"^(?: {4}|\t)|[;{}]\s*$|^\s*(?:[$>#]\s|def |import |export |return |select .* from |for \w+ in .*:|if .*:\s*$)|^\s*[\w.\[\]]+(?: [-+*/]?= |\()|\[\d\d:\d\d:\d\d", re.I)
-END = re.compile(r"(?<=[.?!])[\"'”»)]*\s+|\n+")
+END = re.compile(r"(?<=[.?!])[\"'”»)\]]*\s+|\n[ \t]*\n\s*")
 WORD = re.compile(r"[^\W\d_]{2,}")
 
 
 def prose(text: str) -> list[list[str]]:
     """The words of each sentence outside code and links."""
-    lines = (x for x in FENCE.sub("\n", text).split("\n") if not CODE.search(x))
-    t = re.sub(r"\b(?:https?|ftp)://\S+", " ", "\n".join(lines))
+    lines = (x for x in FENCE.sub("\n\n", text).split("\n") if not CODE.search(x))
+    t = URL.sub(" ", LINK.sub(r"\1", "\n".join(lines)))
     return [w for s in END.split(t) if s and (w := WORD.findall(plain(s)))]
 
 
@@ -284,7 +285,7 @@ def seeds(model: Model, latent):
 
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
     out = np.zeros((len(LANGUAGES), model.s, latent.shape[1]))
-    strong = (model.weight > 0.3) & (model.df >= 4) & (np.linalg.norm(latent, axis=1) > 1e-9)
+    strong = (model.weight > np.where(model.language == 0, 0.3, 0.12)) & (model.df >= 4) & (np.linalg.norm(latent, axis=1) > 1e-9)
     spelled = model.cognates()
     for g in range(len(LANGUAGES)):
         own = np.flatnonzero(strong & (model.language == g))
@@ -298,10 +299,9 @@ def seeds(model: Model, latent):
         at, c = _clusters(vectors, model.weight[own], k)
         # what speaks for subject s in cluster i: spelling, and the profiles that spelling has led to
         case = np.zeros((k, model.s))
-        np.add.at(case, at, 3 * spelled[own] + (model.profile[own] - 1 / model.s) * model.weight[own, None])
+        np.add.at(case, at, 3 * spelled[own].clip(0) + (model.profile[own] - 1 / model.s).clip(0) * model.weight[own, None])
         english = np.flatnonzero(strong & (model.language == 0) & (model.weight > 0.5))
-        case += 0.2 * _alike(model, own, at, k, english)
-        case -= case.min()
+        case += 0.2 * _alike(model, own, at, k, english).clip(0) + 0.1 * np.bincount(at, minlength=k)[:, None]  # of equal cases the larger cluster
         for i, s in enumerate(assign(case.tolist())):
             if s >= 0:
                 out[g, s] = c[i]
@@ -444,7 +444,7 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     model.learn(counts, np.array([[len(g) for g in seed_texts]]), 0.3)
     model.weight = np.where(counts.sum(1) > 0, _entropy_weights(model.profile), 0)
     for r in range(ROUNDS):
-        extra = model.cognates() * (1 if r < 4 else 0.5) if r in COGNATE_ROUNDS else np.zeros_like(counts)
+        extra = model.cognates() * (1 if r < 5 else 0.5) if r in COGNATE_ROUNDS else np.zeros_like(counts)
         model.round(codes, extra)
     uncovered(model)
     latent = embed(codes, model)
