@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engine.operators import changes, lines, periods, sessions
+from engine.operators import changes, flows, index, lines, periods, regions, sessions
 
 QUERIES = {
     "p1_found": periods.found,
@@ -14,5 +14,8 @@ QUERIES = {
     "p4_valid": lines.valid,
     "p6_found": sessions.found,
     "p6_durations": sessions.durations,
+    **flows.QUERIES,
+    **index.QUERIES,
+    **regions.QUERIES,
 }
-SQL = {"p1_found": periods.SQL}
+SQL = {"p1_found": periods.SQL, **flows.SQL, **index.SQL, **regions.SQL}
