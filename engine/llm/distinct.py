@@ -13,7 +13,10 @@ sets, whose registers are partly empty), so all estimates are maximum likelihood
   less and equal, given both n; the standard error of J is about sqrt(J * (1 - J) / M), at most 0.8 points.
 
 Pairs of sets are compared only if they share the top item (register, level) in two of GROUPS groups of registers;
-two sets share a top item with probability J, so a pair with J of 1/3 is missed with (2/3)**48 * (1 + 24) = 9e-8.
+two sets share a top item with probability J, so a pair with J of 1/3 is missed with (2/3)**48 * (1 + 24) = 9e-8. That
+holds for sets that fill all groups. Two sets of at most SMALL used registers are therefore also compared if half as
+many registers agree as J of 1/3 asks for. A shared item is seen unless an item of only one set hides it in its register:
+for one shared item beside two others 2.4e-4, and less for more shared items, as half of them must be hidden.
 
 Defined results: rows with a null time or item are left out; repeated rows change nothing; a null node is a node of its
 own in the daily numbers but in no pair; empty tables give no row; other columns are ignored.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from engine.sources.tables import micros, table
 
-M, BASE, GROUPS = 4096, 1.08, 48
+M, BASE, GROUPS, SMALL = 4096, 1.08, 48, 512
 PEAK, OVERLAP = 2.0, 0.75
 
 
@@ -67,26 +70,33 @@ def _rates(levels, counts, base, m):
     return np.where(counts.sum(1) > 0, np.exp((lo + hi) / 2), 0.0)
 
 
-def _joint(a, b, base, m):
-    """(n_a, n_b, n_both) by maximum likelihood, from the two sets' registers (dense arrays of levels)."""
+def _joint(a, b, la, lb, base, m):
+    """(n_a, n_b, n_both) by maximum likelihood, from the two sets' registers (dense arrays of levels) and their rates."""
     import numpy as np
 
     top = int(max(a.max(), b.max(), 1))
     levels = np.arange(1, top + 1, dtype=float)
-    la, lb = _rates(levels, np.stack([np.bincount(r, minlength=top + 1)[1:] for r in (a, b)]).astype(float), base, m)
     more, less = int((a > b).sum()), int((a < b).sum())
     y, x = base**-levels, base ** -(levels - 1)
 
-    def fit(lj):  # more precisely: the log-likelihood of greater, less, equal
+    def fit(lj):  # more precisely: the log-likelihood of greater, less, equal; levels beyond the top by their first order
         both = np.exp(-(la + lb - lj) * x)
-        p = max(1e-300, float((np.exp(-(la - lj) * y - lb * x) - both).sum()))
-        q = max(1e-300, float((np.exp(-(lb - lj) * y - la * x) - both).sum()))
+        p = max(1e-300, float((np.exp(-(la - lj) * y - lb * x) - both).sum() + (la - lj) * y[-1]))
+        q = max(1e-300, float((np.exp(-(lb - lj) * y - la * x) - both).sum() + (lb - lj) * y[-1]))
         return more * np.log(p) + less * np.log(q) + (m - more - less) * np.log(max(1e-300, 1 - p - q))
 
     lo, hi, g = 0.0, min(la, lb), (5**0.5 - 1) / 2
+    c, d = hi - g * (hi - lo), lo + g * (hi - lo)
+    fc, fd = fit(c), fit(d)
     for _ in range(60):
-        c, d = hi - g * (hi - lo), lo + g * (hi - lo)
-        lo, hi = (lo, d) if fit(c) >= fit(d) else (c, hi)
+        if fc >= fd:
+            hi, d, fd = d, c, fc
+            c = hi - g * (hi - lo)
+            fc = fit(c)
+        else:
+            lo, c, fc = c, d, fd
+            d = lo + g * (hi - lo)
+            fd = fit(d)
     return la * m, lb * m, (lo + hi) / 2 * m
 
 
@@ -110,18 +120,31 @@ def number(sketches: DataFrame, by: list[str]) -> DataFrame:
 
 
 def alike(sketches: DataFrame, node: str) -> DataFrame:
-    """(a, b) with a < b: the pairs of nodes that share the top item in two groups of registers or more."""
-    tops = sketches.groupBy(node, (F.col("reg") % GROUPS).alias("g")).agg(F.max(F.struct("lev", "reg")).alias("top"))
-    a, b = (tops.select(F.col(node).alias(n), "g", "top") for n in "ab")
-    return a.join(b, ["g", "top"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2").select("a", "b")
+    """(a, b) with a < b: the pairs of nodes that share the top item in two groups of registers or more, or, if both are small, enough registers."""
+    item = F.struct("lev", "reg")
+    used = F.count("*").over(Window.partitionBy(node))  # M registers at most
+    top = F.max(item).over(Window.partitionBy(node, F.col("reg") % GROUPS)) == item
+    items = sketches.select(node, "reg", "lev", used.alias("used"), top.alias("top")).where(F.col("top") | (F.col("used") <= SMALL))
+    a, b = (items.select(F.col(node).alias(n), "reg", "lev", F.col("used").alias(f"u{n}"), F.col("top").alias(f"t{n}")) for n in "ab")
+    shared = a.join(b, ["reg", "lev"]).where("a < b").groupBy("a", "b", "ua", "ub").agg(F.count_if(F.col("ta") & F.col("tb")).alias("tops"), F.count("*").alias("n"))
+    small = (F.greatest("ua", "ub") <= SMALL) & (F.col("n") >= (1 - OVERLAP) / 2 * (F.col("ua") + F.col("ub")))
+    return shared.where((F.col("tops") >= 2) | small).select("a", "b")
 
 
 def compared(sketches: DataFrame, pairs: DataFrame, node: str) -> DataFrame:
     """(a, b, n_a, n_b, n_union, n_both, jaccard) of the given pairs."""
-    base, m, joint = BASE, M, _joint
+    base, m, joint, rates = BASE, M, _joint, _rates
+
+    @F.pandas_udf("double")
+    def rate(levels: pd.Series) -> pd.Series:
+        import numpy as np
+
+        top = max((int(x.max()) for x in levels), default=1)
+        counts = np.array([np.bincount(x, minlength=top + 1)[1:] for x in levels], dtype=float).reshape(-1, top)
+        return pd.Series(rates(np.arange(1, top + 1, dtype=float), counts, base, m))
 
     @F.pandas_udf("n_a double, n_b double, n_both double")
-    def together(ra: pd.Series, ka: pd.Series, rb: pd.Series, kb: pd.Series) -> pd.DataFrame:
+    def together(ra: pd.Series, ka: pd.Series, la: pd.Series, rb: pd.Series, kb: pd.Series, lb: pd.Series) -> pd.DataFrame:
         import numpy as np
 
         def dense(r, k):
@@ -129,11 +152,12 @@ def compared(sketches: DataFrame, pairs: DataFrame, node: str) -> DataFrame:
             d[np.asarray(r)] = k
             return d
 
-        return pd.DataFrame([joint(dense(w, x), dense(y, z), base, m) for w, x, y, z in zip(ra, ka, rb, kb, strict=True)], columns=["n_a", "n_b", "n_both"])
+        return pd.DataFrame([joint(dense(w, x), dense(y, z), u, v, base, m) for w, x, u, y, z, v in zip(ra, ka, la, rb, kb, lb, strict=True)], columns=["n_a", "n_b", "n_both"])
 
     whole = sketches.groupBy(node).agg(F.collect_list(F.struct("reg", F.col("lev").cast("int").alias("lev"))).alias("s"))  # M registers at most
-    a, b = (whole.select(F.col(node).alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", together("sa.reg", "sa.lev", "sb.reg", "sb.lev").alias("t")).select("a", "b", "t.*")
+    whole = whole.withColumn("rate", rate("s.lev"))
+    a, b = (whole.select(F.col(node).alias(n), F.col("s").alias(f"s{n}"), F.col("rate").alias(f"r{n}")) for n in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", together("sa.reg", "sa.lev", "ra", "sb.reg", "sb.lev", "rb").alias("t")).select("a", "b", "t.*")
     both = both.withColumn("n_union", F.col("n_a") + F.col("n_b") - F.col("n_both"))
     return both.withColumn("jaccard", F.col("n_both") / F.col("n_union"))
 
@@ -168,7 +192,8 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = daily(spark, sf_dir)
     n = number(days, ["day", "node_id"]).withColumn("median", F.percentile("n", F.lit(0.5)).over(Window.partitionBy("node_id")))  # one row a day and node
     peaks = n.where(F.col("n") >= PEAK * F.col("median")).select(F.date_format("day", "yyyy-MM-dd").alias("day_utc"), "node_id", F.lit(0).cast("bigint").alias("other_node_id"))
-    close = _met(days).where(F.col("n_union") <= OVERLAP * (F.col("n_a") + F.col("n_b")))
+    a, b, both = (F.round(n) for n in ("n_a", "n_b", "n_both"))  # numbers of items are whole: few items at the threshold stay in
+    close = _met(days).where(a + b - both <= OVERLAP * (a + b))
     return peaks.unionAll(close.select(F.lit("").alias("day_utc"), F.col("a").alias("node_id"), F.col("b").alias("other_node_id")))
 
 

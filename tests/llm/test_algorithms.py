@@ -99,3 +99,28 @@ def test_p7_pairs_are_found(spark):
     sets = [(f"n{k:02}", k * 40 + i) for k in range(30) for i in range(80)]  # neighbours share half
     s = distinct.registers(spark.createDataFrame(sets, "n string, x bigint"), ["n"], "x")
     assert {(f"n{k:02}", f"n{k + 1:02}") for k in range(29)} <= {tuple(r) for r in distinct.alike(s, "n").collect()}
+
+
+def test_p7_small_sets_are_paired(spark, tmp_path):
+    """Nodes of few sources, also at the threshold and below it, give the pairs of the SQL; before, one shared source was no pair."""
+    rows, node, source = [], 0, 0
+    for na, nb, both in [(1, 1, 1), (2, 2, 1), (1, 3, 1), (3, 3, 2), (4, 4, 2), (3, 3, 1), (2, 3, 1), (30, 30, 18), (200, 200, 120), (200, 200, 80)] * 3:
+        for n, first in ((na, 0), (nb, na - both)):
+            node += 1
+            rows += [(node, source + first + i) for i in range(n)]
+        source += na + nb - both
+    spark.createDataFrame(rows, "node_id bigint, srcip bigint").selectExpr("timestamp_ntz'2026-01-01 05:00:00' AS ts", "*").write.parquet(f"{tmp_path}/flow_index.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW flow_index AS SELECT * FROM read_parquet('{tmp_path}/flow_index.parquet/*.parquet')")
+    want = sorted(con.execute(distinct.SQL).fetchall())
+    assert len(want) == 3 * 7 and sorted(map(tuple, distinct.found(spark, str(tmp_path)).collect())) == want
+
+
+def test_p7_joint_of_few_items_is_unbiased():
+    """Levels beyond the largest seen count too: without them the two items of one set only came out as more."""
+    import numpy as np
+
+    a, b = np.zeros((2, distinct.M), dtype=np.int64)
+    a[[1, 2, 3]], b[[2, 3, 4]] = (1, 2, 3), (2, 3, 1)
+    rate = 3 / distinct.M
+    assert abs(distinct._joint(a, b, rate, rate, distinct.BASE, distinct.M)[2] - 2) < 0.01
